@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["incremental"]
+FAMILIES = ["incremental", "splits"]
 
 
 def modules() -> list:
