@@ -146,10 +146,16 @@ class WorkLedger:
     ``items/batch=…`` are enqueued versions, ``leases/token=…`` the items of each lease and
     ``done/token=…`` those settled. Every folder is written once, at a path that follows from the
     token or batch name alone: a retry after a crash overwrites its own half-written folder, and
-    a folder counts only once it has its ``_SUCCESS`` mark. Items are (id, content_hash).
+    a folder counts only once it has its ``_SUCCESS`` mark.
+
+    Items are (id, content_hash). A document has one current version, the last one observed, and
+    is due whenever that differs from the version of its newest lease that was settled or still
+    holds. A return to an earlier hash is thus due again, and a version that another one replaced
+    before anybody leased it is not.
     """
 
     ITEM = "id string, content_hash string"
+    ORDER = ("at", "obs_id")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -164,16 +170,27 @@ class WorkLedger:
             return []
         return sorted(s.getPath().toString() for s in fs.listStatus(p) if self._exists(f"{s.getPath().toString()}/_SUCCESS"))
 
-    def _read(self, parts: list[str]) -> DataFrame:
+    def _read(self, parts: list[str], more: str = "") -> DataFrame:
+        """Items below ``parts``, which lie in one folder; ``more`` names further columns, of which
+        ``token`` comes from the path."""
+        schema = self.ITEM + more
         if not parts:
-            return self.spark.createDataFrame([], self.ITEM)
-        return self.spark.read.schema(self.ITEM).parquet(*parts)
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema)
+        return (reader.option("basePath", parts[0].rsplit("/", 1)[0]) if "token" in more else reader).parquet(*parts)
 
     def enqueue(self, batch: str, items: DataFrame) -> None:
-        """Adds versions; a batch of a name that is already complete is left as it is."""
+        """Adds versions; a batch of a name that is already complete is left as it is.
+
+        The current version of a document is the one with the greatest ``at``, then ``obs_id``
+        (both bigint). Without these columns it is the one of the batch that was enqueued last;
+        the batches of one ledger either all have them or all lack them.
+        """
         path = f"{self.root}/items/batch={batch}"
         if not self._exists(f"{path}/_SUCCESS"):
-            items.select("id", canonical_hash(F.col("content_hash")).alias("content_hash")).where("id is not null and content_hash is not null").distinct().write.mode("overwrite").parquet(path)
+            default = {"at": F.lit(len(self._parts("items"))), "obs_id": F.lit(0)}
+            order = [(F.col(c) if c in items.columns else default[c]).cast("long").alias(c) for c in self.ORDER]
+            items.select("id", canonical_hash(F.col("content_hash")).alias("content_hash"), *order).where("id is not null and content_hash is not null").distinct().write.mode("overwrite").parquet(path)
 
     def _leases(self) -> dict[int, tuple[str, float]]:
         """Lease folder and expiry time by token."""
@@ -191,11 +208,15 @@ class WorkLedger:
         return self._read(self._done())
 
     def pending(self, now: float) -> DataFrame:
-        """Items neither done nor held by a lease that is still valid at ``now``."""
+        """Current versions that differ from the one of the document's newest lease, leases that
+        ran out before ``now`` without being settled left aside."""
         settled = {p.rsplit("=", 1)[1] for p in self._done()}
         held = [path for t, (path, exp) in self._leases().items() if exp > now and f"{t:08d}" not in settled and self._exists(f"{path}/_SUCCESS")]
-        items = self._read(self._parts("items")).distinct()
-        return items.join(self._read(self._done() + held), ["id", "content_hash"], "left_anti")
+        items = self._read(self._parts("items"), "".join(f", {c} long" for c in self.ORDER))
+        current = items.groupBy("id").agg(F.max(F.struct(*self.ORDER, "content_hash"))["content_hash"].alias("content_hash"))
+        taken = self._read(self._done(), ", token int").union(self._read(held, ", token int"))
+        had = taken.groupBy("id").agg(F.max(F.struct("token", "content_hash"))["content_hash"].alias("had"))
+        return current.join(had, "id", "left").where(~F.col("content_hash").eqNullSafe(F.col("had"))).select("id", "content_hash")
 
     def lease(self, now: float, ttl: float) -> int:
         """Leases everything pending and returns the fencing token. The token file is created
@@ -213,7 +234,7 @@ class WorkLedger:
         return self._read([f"{self.root}/leases/token={token:08d}"])
 
     def complete(self, token: int, now: float) -> None:
-        """Settles the items of a lease. An expired token whose items a newer lease took over is
+        """Settles the items of a lease. An expired token whose documents a newer lease took over is
         rejected; settling twice has no further effect."""
         path = f"{self.root}/done/token={token:08d}"
         if self._exists(f"{path}/_SUCCESS"):
@@ -223,6 +244,6 @@ class WorkLedger:
             raise StaleToken(f"token {token} was never leased")
         newer = [p for t, (p, _) in leases.items() if t > token]
         mine = self.leased(token)
-        if leases[token][1] <= now and newer and not mine.join(self._read(newer), ["id", "content_hash"], "left_semi").isEmpty():
-            raise StaleToken(f"token {token} expired and its items were leased again")
+        if leases[token][1] <= now and newer and not mine.join(self._read(newer), "id", "left_semi").isEmpty():
+            raise StaleToken(f"token {token} expired and its documents were leased again")
         mine.write.mode("overwrite").parquet(path)
