@@ -12,6 +12,7 @@ shuffle by document); :class:`WorkLedger` is the same protocol as durable tables
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,16 +219,33 @@ class WorkLedger:
         had = taken.groupBy("id").agg(F.max(F.struct("token", "content_hash"))["content_hash"].alias("had"))
         return current.join(had, "id", "left").where(~F.col("content_hash").eqNullSafe(F.col("had"))).select("id", "content_hash")
 
+    def _newest(self) -> int:
+        """The greatest token claimed so far, be it leased or left behind by a crash."""
+        fs, p = session.filesystem(self.spark, f"{self.root}/claims")
+        claims = [int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()] if fs.exists(p) else []
+        return max([*claims, *self._leases()], default=0)
+
+    def _claim(self) -> int:
+        """A token that nobody else gets: the next one whose claim file could be created."""
+        while True:
+            token = self._newest() + 1
+            fs, p = session.filesystem(self.spark, f"{self.root}/claims/{token:08d}")
+            try:
+                fs.create(p, False).close()
+                return token
+            except Py4JJavaError:
+                if not fs.exists(p):
+                    raise
+
     def lease(self, now: float, ttl: float) -> int:
-        """Leases everything pending and returns the fencing token. The token file is created
-        exclusively, so two workers never get the same token."""
-        taken = self._leases()
-        token = max(taken, default=0) + 1
-        fs, p = session.filesystem(self.spark, f"{self.root}/claims/{token:08d}")
-        fs.create(p, False).close()
+        """Leases everything pending and returns the fencing token. The claim file is created
+        exclusively, so two workers never get the same token. A claim without a token, left by a
+        worker that died before its lease was complete or is still at it, holds nothing."""
+        token = self._claim()
         todo = self.pending(now)
         todo.write.mode("overwrite").parquet(f"{self.root}/leases/token={token:08d}")
-        fs.mkdirs(session.filesystem(self.spark, f"{self.root}/tokens/{token}@{now + ttl}")[1])
+        fs, p = session.filesystem(self.spark, f"{self.root}/tokens/{token}@{now + ttl}")
+        fs.mkdirs(p)
         return token
 
     def leased(self, token: int) -> DataFrame:
@@ -235,7 +253,8 @@ class WorkLedger:
 
     def complete(self, token: int, now: float) -> None:
         """Settles the items of a lease. An expired token whose documents a newer lease took over is
-        rejected; settling twice has no further effect."""
+        rejected, and so is one overtaken before its lease was complete, whose items a newer lease
+        holds as well; settling twice has no further effect."""
         path = f"{self.root}/done/token={token:08d}"
         if self._exists(f"{path}/_SUCCESS"):
             return
@@ -244,6 +263,8 @@ class WorkLedger:
             raise StaleToken(f"token {token} was never leased")
         newer = [p for t, (p, _) in leases.items() if t > token]
         mine = self.leased(token)
+        if newer and not mine.join(self._read(newer), ["id", "content_hash"], "left_semi").isEmpty():
+            raise StaleToken(f"token {token}: its items were leased again")
         if leases[token][1] <= now and newer and not mine.join(self._read(newer), "id", "left_semi").isEmpty():
             raise StaleToken(f"token {token} expired and its documents were leased again")
         mine.write.mode("overwrite").parquet(path)
