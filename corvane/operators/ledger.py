@@ -12,6 +12,8 @@ shuffle by document); :class:`WorkLedger` is the same protocol as durable tables
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd  # a module global: the type hints of a pandas UDF are looked up there
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,9 +58,6 @@ def _run_index(last_seen: Column, starts: list[int]) -> Column:
 
 
 def _search_udf(starts: list[int]):
-    import numpy as np
-    import pandas as pd
-
     edges = np.array(starts, dtype="int64")
 
     @F.pandas_udf("int")
@@ -102,7 +101,8 @@ def replay(states: DataFrame, runs: DataFrame, max_runs: int = MAX_RUNS) -> Data
         settle[k] = nxt
     plan = spark.createDataFrame([(k, r["run_id"], settle[k]) for k, r in enumerate(order)], "k int, run_id string, settle int")
 
-    seen = states.select(
+    # nulls go first: the three forms of _run_index would each place them differently
+    seen = states.where(F.col("last_seen").isNotNull()).select(
         F.col("id").cast("string").alias("id"),
         canonical_hash(F.col("content_hash")).alias("content_hash"),
         F.coalesce("last_changed", "last_seen").alias("at"),
