@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import ledger
-from corvane.session import table
+from corvane.session import new_shared_path, table
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,13 @@ def p7_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.groupBy("run_id", "state").agg(F.count(F.lit(1)).alias("items"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_leases": p7_leases}
+def p7_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p7_found, by a durable ledger that is led through all runs."""
+    led = ledger.WorkLedger(spark, new_shared_path(spark, "ledger"))
+    return ledger.drive(led, table(spark, sf_dir, "doc_states"), table(spark, sf_dir, "runs"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_leases": p7_leases, "p7_ledger": p7_ledger}
 
 _CURRENT = r"""
 good as (select run_id, started_at, row_number() over (order by started_at, run_id) as k
