@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["overlap"]
+FAMILIES = ["overlap", "wrappers"]
 
 
 def modules() -> list:
