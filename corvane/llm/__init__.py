@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["overlap", "wrappers"]
+FAMILIES = ["overlap", "wrappers", "leaks"]
 
 
 def modules() -> list:
