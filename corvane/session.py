@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     (local tests only) a fresh temporary folder, which is then used as checkpoint folder too."""
     sc = spark.sparkContext
     configured = spark.conf.get(LINEAGE_CONF, None) or sc.getConf().get(LINEAGE_CONF, None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError(f"set {LINEAGE_CONF} to a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corvane-"))
     return configured or sc._jsc.sc().getCheckpointDir().get()
@@ -36,12 +38,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to a table in the shared folder and read from there. Unlike a checkpoint
+    its size is known to the planner, so joins broadcast it only where it is small."""
+    path = new_shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def filesystem(spark: SparkSession, path: str):
     """The Hadoop file system and path object of ``path``."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, 1)
