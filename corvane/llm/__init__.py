@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["overlap", "wrappers", "leaks", "spans", "defects", "markup", "history"]
+FAMILIES = ["overlap", "wrappers", "leaks", "spans", "defects", "markup", "history", "mixing"]
 
 
 def modules() -> list:
