@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane import session
@@ -58,20 +58,30 @@ def _sliding(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - (w - p)], x[w - p :]) if w > p else x
 
 
-def anchors(text: str, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of a text: every run of ANCHOR characters whose hash is
-    the least in some window of SPAN characters."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashed(text: str, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which :func:`_runs` has the hash of any run of characters."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = len(codes)
+    up, down = powers.get(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes + np.uint64(1)) * up[:-1], out=total[1:])
+    return total, down
+
+
+def _runs(total: np.ndarray, down: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    return _mixed((total[start + length] - total[start]) * down[start])
+
+
+def _anchors(total: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(total) - 1
     if n < SPAN:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    up, down = powers.get(n)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((codes + np.uint64(1)) * up, out=total[1:])
-    h = (total[ANCHOR:] - total[:-ANCHOR]) * down[: n - ANCHOR + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    h = _mixed((total[ANCHOR:] - total[:-ANCHOR]) * down[: n - ANCHOR + 1])
     w = SPAN - ANCHOR + 1
     least = np.zeros(len(h) + w - 1, dtype=np.uint64)
     least[w - 1 : len(h)] = _sliding(h, w, np.minimum)
@@ -79,6 +89,36 @@ def anchors(text: str, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at].view(np.int64)
 
 
+def anchors(text: str, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of a text: every run of ANCHOR characters whose hash is
+    the least in some window of SPAN characters."""
+    return _anchors(*_hashed(text, powers))
+
+
+#: runs of characters left and right of an anchor whose hashes go with it
+LEFT, RIGHT = (33, 67), (34, 67)
+
+
+def surrounded(text: str, powers: Powers) -> np.ndarray:
+    """(hash, surroundings) of the anchors. Surroundings are 32 bits of the anchor before, with its
+    distance, 0 if there is none or the two do not touch, and a byte each for the runs LEFT and
+    RIGHT of the anchor, 0 where the text has no such run."""
+    total, down = _hashed(text, powers)
+    at, h = _anchors(total, down)
+    if not len(at):
+        return np.empty((2, 0), dtype=np.int64)
+    gap = np.diff(at, prepend=at[0] - ANCHOR - 1)
+    before = _mixed(np.concatenate([[0], h[:-1]]).view(np.uint64) ^ (gap.astype(np.uint64) * np.uint64(_BASE))) & np.uint64(0xFFFFFFFF)
+    around = np.where(gap > ANCHOR, np.uint64(0), np.maximum(before, np.uint64(1))) << np.uint64(32)
+    n = len(total) - 1
+    for k, (start, length) in enumerate([*((at - x, x) for x in LEFT), *((at + ANCHOR, x) for x in RIGHT)]):
+        fits = (start >= 0) & (start + length <= n)
+        byte = _runs(total, down, np.where(fits, start, 0), length) % np.uint64(255) + np.uint64(1)
+        around |= np.where(fits, byte, np.uint64(0)) << np.uint64(8 * k)
+    rows = np.stack([h, around.view(np.int64)])
+    return np.unique(rows, axis=1) if len(np.unique(h)) < len(h) else rows
+
+
 class Automaton:
     """Suffix automaton of several texts. ``owners`` of a state are the texts, as bits, in which
     the substrings of at least SPAN characters that end in it stand."""
@@ -128,26 +168,38 @@ class Automaton:
             if self.size[self.link[v]] >= SPAN:
                 self.owners[v] = self.owners[self.link[v]]
 
-    def spans(self, text: str) -> tuple[int, list[tuple[int, int]]]:
-        """Owners of common spans with ``text``, and the stretches of it that such spans cover."""
-        nxt, size, link = self.next, self.size, self.link
-        v = n = owners = 0
-        covered: list[tuple[int, int]] = []
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(owners, start, end): stretches of ``text`` of which every SPAN characters stand in all
+        of these texts. Stretches for other owners overlap with them."""
+        nxt, size, link, owners = self.next, self.size, self.link, self.owners
+        v = n = 0
+        out: list[tuple[int, int, int]] = []
+        have = begin = 0
         for i, c in enumerate(text, 1):
             while v and c not in nxt[v]:
                 v = link[v]
                 n = size[v]
             q = nxt[v].get(c)
-            if q is None:
-                continue
-            v, n = q, n + 1
-            if n >= SPAN:
-                owners |= self.owners[v]
-                if covered and covered[-1][1] >= i - n:
-                    covered[-1] = (min(covered[-1][0], i - n), i)
-                else:
-                    covered.append((i - n, i))
-        return owners, covered
+            if q is not None:
+                v, n = q, n + 1
+            bits = owners[v] if n >= SPAN else 0
+            if bits != have:
+                if have:
+                    out.append((have, begin - SPAN, i - 1))
+                have, begin = bits, i
+        if have:
+            out.append((have, begin - SPAN, len(text)))
+        return out
+
+
+def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(stretches):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def _regions(text: str, at: np.ndarray, hashes: np.ndarray, shared: set[int]) -> list[tuple[int, str]]:
@@ -184,14 +236,14 @@ def measure(refs: list[tuple[int, str]], partners: list[tuple[int, str]]) -> Ite
             auto.add(piece, owners.index(k))
         auto.finish()
         for b, parts in streams:
-            bits, covered = 0, []
+            covered: dict[int, list[tuple[int, int]]] = {}
             for start, piece in parts:
-                got, where = auto.spans(piece)
-                bits |= got
-                covered += [(start + x, start + y) for x, y in where]
-            for n, a in enumerate(owners):
-                if bits >> n & 1 and a != b:
-                    yield a, b, covered
+                for bits, x, y in auto.spans(piece):
+                    for n in (n for n in range(len(owners)) if bits >> n & 1):
+                        covered.setdefault(n, []).append((start + x, start + y))
+            for n, stretches in covered.items():
+                if owners[n] != b:
+                    yield owners[n], b, _joined(stretches)
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -208,27 +260,37 @@ def copies(documents: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """(a, b), a < b, of texts (doc_id, text) with a common anchor. A pair is taken where the anchors
-    before it differ, so once for each common run of anchors."""
+    """(a, b), a < b, of texts (doc_id, text) with a common anchor that can lie in a common span.
+
+    A pair is taken where the anchors before it differ or do not touch it, so once for each
+    common run of anchors that touch, which lies in one common span. An anchor in a common span of
+    SPAN characters has SPAN - ANCHOR = 100 of them around it: 67 to the right, 33 to the left and
+    34 to the right, or 67 to the left.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for batch in batches:
-            docs, hashes, before = [], [], []
+            docs, rows = [], []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                h = anchors(text, powers)[1]
-                if len(h):
-                    rows = np.unique(np.stack([h, np.concatenate([[0], h[:-1]])]), axis=1) if len(np.unique(h)) < len(h) else np.stack([h, np.concatenate([[0], h[:-1]])])
-                    docs.append(np.full(rows.shape[1], doc))
-                    hashes.append(rows[0])
-                    before.append(rows[1])
+                found = surrounded(text, powers)
+                docs.append(np.full(found.shape[1], doc))
+                rows.append(found)
             if docs:
-                yield pd.DataFrame({"doc": np.concatenate(docs), "h": np.concatenate(hashes), "before": np.concatenate(before)})
+                h, around = np.concatenate(rows, axis=1)
+                yield pd.DataFrame({"doc": np.concatenate(docs), "h": h, "around": around})
+
+    def byte(c: str, k: int) -> Column:
+        return F.shiftright(c, 8 * k).bitwiseAND(255)
+
+    def equal(k: int) -> Column:
+        return (byte("around_a", k) == byte("around_b", k)) & (byte("around_a", k) != 0)
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInPandas(emit, f"doc {kind}, h long, before long")
-    a, b = (rows.select(F.col("doc").alias(x), "h", F.col("before").alias(f"before_{x}")) for x in "ab")
-    met = a.join(b, "h").where("a < b and (before_a <> before_b or before_a = 0)")
+    rows = texts.mapInPandas(emit, f"doc {kind}, h long, around long")
+    a, b = (rows.select(F.col("doc").alias(x), "h", F.col("around").alias(f"around_{x}")) for x in "ab")
+    left, right = (F.shiftright(f"around_{x}", 32) for x in "ab")
+    met = a.join(b, "h").where((F.col("a") < F.col("b")) & ((left != right) | (left == 0)) & (equal(3) | equal(0) & equal(2) | equal(1)))
     return met.select("a", "b").distinct()
 
 
