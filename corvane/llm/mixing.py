@@ -208,6 +208,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
                     yield pd.concat(out)
 
     drawn = spark.range(shards, numPartitions=max(1, min(shards, 200))).mapInPandas(draw, "shard long, slot int, source string, block long, use int")
+    drawn = session.stored(drawn, "slots")  # the planner must know its size
     mixed = drawn.join(indexed.select("source", "block", "n_tokens", "tokens"), ["source", "block"]).select("shard", "slot", "source", "block", "use", "n_tokens", "tokens")
     used = drawn.join(indexed.select("source", "block", "n_tokens"), ["source", "block"]).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), (F.max("use") + 1).alias("uses"))
     rows = [(s["source"], float(s["weight"]), s["want"], s["tokens"], s["documents"], s["blocks"], s["max_repeats"], s["capped"]) for s in sources]
