@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane import session
+
 # HTML elements that count as markup wherever they stand.
 TAGS = "a abbr article aside b big blockquote body br button caption center code col colgroup dd del details dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img ins kbd li main mark meta nav nobr ol p pre q s samp script small span strike strong style sub summary sup svg table tbody td tfoot th thead tr tt u ul wbr"
 # Elements that make a container, and those that end a line.
@@ -31,16 +33,17 @@ MACROS = "toc code noformat info note warning tip panel quote color status expan
 #: a path loses the vote of its host if so large a share of its text is links, on so few characters a container
 LINK_SHARE, THIN = 0.6, 200
 
+_FENCE = re.compile(r"^[ \t]*(?P<f>```|~~~)[^\n`]*\n(?P<body>.*?)(?:^[ \t]*(?P=f)[ \t]*$|\Z)", re.S | re.M)
+# every alternative begins with a literal, so a scan stops only there
 _HIDE = re.compile(
-    r"(?P<fence>^[ \t]*(?P<f>```|~~~)[^\n`]*\n(?P<fb>.*?)(?:^[ \t]*(?P=f)[ \t]*$|\Z))"
-    r"|(?P<pre><pre\b[^<>]*>(?P<pb>.*?)(?:</pre\s*>|\Z))"
+    r"(?P<pre><[pP][rR][eE]\b[^<>]*>(?P<pb>.*?)(?:</[pP][rR][eE]\s*>|\Z))"
     r"|(?P<macro>\{(?P<m>code|noformat)(?::[^{}\n]*)?\}\n?(?P<mb>.*?)\{(?P=m)\})"
     r"|(?P<verb>\\begin\{(?P<v>verbatim|lstlisting|minted)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?\n?(?P<vb>.*?)\\end\{(?P=v)\})"
     r"|(?P<env>\\begin\{(?P<e>equation|align|gather|multline|eqnarray|displaymath|math)\*?\}(?P<eb>.*?)\\end\{(?P=e)\*?\})"
     r"|(?P<dollars>\$\$(?P<db>[^$]+?)\$\$)|(?P<square>\\\[(?P<sb>.*?)\\\])|(?P<round>\\\((?P<rb>[^\n]*?)\\\))"
-    r"|(?P<inline>(?<![\w$\\])\$(?P<ib>[^$\n]*\\[a-zA-Z]+[^$\n]*)\$(?!\w))"
-    r"|(?P<tick>(?<!`)`(?P<tb>[^`\n]+)`(?!`))",
-    re.S | re.M | re.I,
+    r"|(?P<inline>\$(?<![\w$\\]\$)(?P<ib>[^$\n]*\\[a-zA-Z]+[^$\n]*)\$(?!\w))"
+    r"|(?P<tick>`(?<!``)(?P<tb>[^`\n]+)`(?!`))",
+    re.S,
 )
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _TAG = re.compile(rf"(</?(?:{'|'.join(TAGS.split())})\b[^<>]*>|<!doctype[^<>]*>)", re.I)
@@ -59,8 +62,8 @@ _REF = re.compile(r"^\[[^\[\]\n^]+\]:[ \t]+\S+.*\n?", re.M)
 _REF_LINK = re.compile(r"\[([^\[\]\n]+)\]\[[^\[\]\n]*\]")
 _NOTE = re.compile(r"\[\^[\w\-]+\]:?")
 _TASK = re.compile(r"^([ \t]*[-*+][ \t])\[[ xX]\][ \t]", re.M)
-_BOLD = re.compile(r"(?<!\*)\*\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*\*(?!\*)|(?<![\w_])__(?=[^\s_])(?![A-Z]+__)([^_\n]+?)(?<=[^\s_])__(?![\w_])")
-_EMPHASIS = re.compile(r"(?<![\w*\\/])\*(?=[^\W\d_])([^*\n]+?)(?<=[^\s*])\*(?![\w*])|(?<![\w_\\/.$])_(?=[^\W\d_])([^_\n]+?)(?<=[^\s_])_(?![\w_])")
+_BOLD = re.compile(r"\*\*(?<!\*\*\*)(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*\*(?!\*)|__(?<![\w_]__)(?=[^\s_])(?![A-Z]+__)([^_\n]+?)(?<=[^\s_])__(?![\w_])")
+_EMPHASIS = re.compile(r"\*(?<![\w*\\/]\*)(?=[^\W\d_])([^*\n]+?)(?<=[^\s*])\*(?![\w*])|_(?<![\w_\\/.$]_)(?=[^\W\d_])([^_\n]+?)(?<=[^\s_])_(?![\w_])")
 _STRIKE = re.compile(r"~~(?=\S)([^~\n]+?)(?<=\S)~~")
 _QUOTE = re.compile(r"(?:(?<=\n\n)|\A)>[ \t](?=[^\W\d_\[*\x00\"'`~])", re.M)
 _BULLET = re.compile(r"^([ \t]*)[*+][ \t]+(?=\S)", re.M)
@@ -74,7 +77,7 @@ _CATEGORY = re.compile(r"^\[\[(?:category|kategorie|catégorie|categoría)\s*:[^
 _WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]")
 _EXTERNAL = re.compile(r"\[https?://[^\s\[\]]+[ \t]+([^\[\]\n]+)\]")
 _CONF_LINK = re.compile(r"\[([^\[\]|\n]*[^\W\d_][^\[\]|\n]*)\|([^\[\]\n|]+)\]")
-_QUOTES = re.compile(r"(?<!')'''(?!')([^'\n]+)'''(?!')|(?<!')''(?!')([^'\n]+)''(?!')")
+_QUOTES = re.compile(r"'''(?<!'''')(?!')([^'\n]+)'''(?!')|''(?<!''')(?!')([^'\n]+)''(?!')")
 _MONO = re.compile(r"\{\{([^\W\d_][^{}|\n]*)\}\}")
 _TEMPLATE = re.compile(r"\{\{[^\W\d_][^{}]*\|[^{}]*\}\}")
 _MACRO = re.compile(rf"\{{(?:{'|'.join(MACROS.split())})(?::[^{{}}\n]*)?\}}")
@@ -102,7 +105,10 @@ class Page:
         self.met: set[str] = set()
         self.hidden: list[str] = []
 
-    def put(self, pattern: re.Pattern, by, kind: str) -> None:
+    def put(self, pattern: re.Pattern, by, kind: str, *need: str) -> None:
+        """Replaces what ``pattern`` finds; ``need`` are strings of which a match has one."""
+        if need and not any(x in self.text for x in need):
+            return
         self.text, n = pattern.subn(by, self.text)
         if n:
             self.met.add(kind)
@@ -113,7 +119,7 @@ class Page:
             kind, body = _KINDS[g]
             self.met.add(kind)
             inner = m[body]
-            if g in ("fence", "macro", "verb"):
+            if g in ("macro", "verb"):
                 inner = "\n```\n" + inner.strip("\n") + "\n```\n"
             elif g == "pre":
                 if _ENTITY.search(inner):
@@ -126,7 +132,15 @@ class Page:
             self.hidden.append(inner)
             return f"\0{len(self.hidden) - 1}\0"
 
-        self.text = _HIDE.sub(keep, self.text)
+        def fence(m: re.Match) -> str:
+            self.met.add("markdown")
+            self.hidden.append("\n```\n" + m["body"].strip("\n") + "\n```\n")
+            return f"\0{len(self.hidden) - 1}\0"
+
+        if "```" in self.text or "~~~" in self.text:
+            self.text = _FENCE.sub(fence, self.text)
+        if any(x in self.text for x in ("`", "$$", "\\", "{code", "{noformat")) or "<pre" in self.text.lower():
+            self.text = _HIDE.sub(keep, self.text)
 
     def show(self) -> None:
         while "\0" in self.text:
@@ -185,37 +199,38 @@ class Page:
         self.text = _ENTITY.sub(decode, self.text)
 
     def wiki(self) -> None:
-        self.put(_REFERENCE, "", "wiki")
-        self.put(_CONF_HEAD, lambda m: "#" * int(m[1]) + " " + m[2], "wiki")
-        self.put(_WIKI_HEAD, lambda m: "\n" + "#" * len(m[1]) + " " + m[2] + "\n", "wiki")
-        self.put(_WIKI_TABLE, lambda m: "\n".join(re.sub(r"[ \t]*(?:\|\||!!)[ \t]*", " | ", x[1:].strip()) for x in m[1].split("\n") if x[:1] in "|!" and x[:2] not in ("|-", "|+") and x.strip()), "wiki")
-        self.put(_CONF_TABLE, lambda m: re.sub(r"[ \t]*\|\|[ \t]*", " | ", m[1]), "wiki")
-        self.put(_CATEGORY, "", "wiki")
-        self.put(_FILE, r"\1", "wiki")
-        self.put(_WIKI_LINK, r"\1", "wiki")
+        self.put(_REFERENCE, "", "wiki", "<")
+        self.put(_CONF_HEAD, lambda m: "#" * int(m[1]) + " " + m[2], "wiki", *(f"h{i}. " for i in range(1, 7)))
+        self.put(_WIKI_HEAD, lambda m: "\n" + "#" * len(m[1]) + " " + m[2] + "\n", "wiki", " =")
+        self.put(_WIKI_TABLE, lambda m: "\n".join(re.sub(r"[ \t]*(?:\|\||!!)[ \t]*", " | ", x[1:].strip()) for x in m[1].split("\n") if x[:1] in "|!" and x[:2] not in ("|-", "|+") and x.strip()), "wiki", "{|")
+        self.put(_CONF_TABLE, lambda m: re.sub(r"[ \t]*\|\|[ \t]*", " | ", m[1]), "wiki", "||")
+        self.put(_CATEGORY, "", "wiki", "[[")
+        self.put(_FILE, r"\1", "wiki", "[[")
+        self.put(_WIKI_LINK, r"\1", "wiki", "[[")
         self.put(_TEMPLATE, "", "wiki")
         self.put(_MONO, r"\1", "wiki")
         self.put(_EXTERNAL, r"\1", "wiki")
         self.put(_CONF_LINK, r"\1", "wiki")
-        self.put(_QUOTES, lambda m: m[1] or m[2], "wiki")
+        self.put(_QUOTES, lambda m: m[1] or m[2], "wiki", "''")
         self.put(_MACRO, "", "wiki")
-        self.put(_MAGIC, "", "wiki")
-        self.put(_BQ, "", "wiki")
+        self.put(_MAGIC, "", "wiki", "__")
+        self.put(_BQ, "", "wiki", "bq.")
 
     def markdown(self) -> None:
         wiki = "wiki" in self.met
-        self.put(_SETEXT, lambda m: ("# " if m[2][0] == "=" else "## ") + m[1], "markdown")
-        self.put(_MD_TABLE, "", "markdown")
+        self.put(_SETEXT, lambda m: ("# " if m[2][0] == "=" else "## ") + m[1], "markdown", "\n===", "\n---")
+        self.put(_MD_TABLE, "", "markdown", "---")
         for x in (_IMAGE, _LINK, _REF_LINK):
             self.put(x, r"\1", "markdown")
-        self.put(_REF, "", "markdown")
-        self.put(_NOTE, "", "markdown")
-        self.put(_TASK, r"\1", "markdown")
-        self.put(_BOLD, lambda m: m[1] or m[2], "markdown")
-        self.put(_STRIKE, r"\1", "markdown")
-        self.put(_QUOTE, "", "markdown")
-        self.put(_EMPHASIS, lambda m: m[1] or m[2], "wiki" if wiki and "markdown" not in self.met else "markdown")
-        self.text = _PIPES.sub(lambda m: re.sub(r"[ \t]*\|[ \t]*", " | ", m[1].strip()), self.text)
+        self.put(_REF, "", "markdown", "]: ")
+        self.put(_NOTE, "", "markdown", "[^")
+        self.put(_TASK, r"\1", "markdown", " [ ] ", " [x] ", " [X] ")
+        self.put(_BOLD, lambda m: m[1] or m[2], "markdown", "**", "__")
+        self.put(_STRIKE, r"\1", "markdown", "~~")
+        self.put(_QUOTE, "", "markdown", "> ")
+        self.put(_EMPHASIS, lambda m: m[1] or m[2], "wiki" if wiki and "markdown" not in self.met else "markdown", "*", "_")
+        if "|" in self.text:
+            self.text = _PIPES.sub(lambda m: re.sub(r"[ \t]*\|[ \t]*", " | ", m[1].strip()), self.text)
         if self.met & {"wiki", "markdown"}:
             self.text = _BULLET.sub(r"\1- ", self.text)
 
@@ -251,7 +266,7 @@ class Page:
 
 
 _KINDS = {
-    "fence": ("markdown", "fb"), "pre": ("html", "pb"), "macro": ("wiki", "mb"), "verb": ("latex", "vb"), "env": ("latex", "eb"),
+    "pre": ("html", "pb"), "macro": ("wiki", "mb"), "verb": ("latex", "vb"), "env": ("latex", "eb"),
     "dollars": ("latex", "db"), "square": ("latex", "sb"), "round": ("latex", "rb"), "inline": ("latex", "ib"), "tick": ("markdown", "tb"),
 }
 _ANY = re.compile(r"[<&*`#\[{\\$='~_|]|^(?:h[1-6]\.|bq\.|>)|^-{3,}", re.M)
@@ -370,7 +385,11 @@ def clean(documents: DataFrame) -> DataFrame:
     where the planner finds it small.
     """
     lost = vote(documents).where(~F.col("content")).groupBy("site").agg(F.collect_set("path").alias("lost"))
+    lost = session.stored(lost, "lost")
     rows = documents.where("doc_id is not null").select("doc_id", "text", _site(documents).alias("site"))
+    none = F.lit(None).cast("array<string>")
+    placed = rows.where("site is not null").join(lost, "site", "left").select("doc_id", "text", "lost")
+    placed = placed.union(rows.where("site is null").select("doc_id", "text", none.alias("lost")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -381,7 +400,7 @@ def clean(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(got, columns=["doc_id", "text", "markup"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.join(lost, "site", "left").select("doc_id", "text", "lost").mapInPandas(run, f"doc_id {kind}, text string, markup array<string>")
+    return placed.mapInPandas(run, f"doc_id {kind}, text string, markup array<string>")
 
 
 def found(documents: DataFrame) -> DataFrame:
