@@ -60,6 +60,7 @@ REFUSALS = re.compile(
 
 _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _UNIT = re.compile(r"(?<=[.!?])\s+|\n+")
 _ITEM = re.compile(r"^\s*(?:[-*•>]|\d+[.)])\s+")
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
@@ -78,17 +79,21 @@ def units(text: str) -> list[str]:
     return [u for u in (_ITEM.sub("", x) for x in _UNIT.split(text.strip())) if u.strip()]
 
 
+def _end_keys(words: list[str]) -> tuple[str, str, str]:
+    last = " ".join(words[-2:])
+    return last, f"{words[1]} .. {last}", f"{words[1]} .."
+
+
 def end_keys(unit: str, common: frozenset[str]) -> tuple[str, str, str] | None:
     """Keys of a unit's end: last two words, these with the first word, the first word."""
     words = masked(unit, common)
-    if not words:
-        return None
-    last = " ".join(["^", *words][-2:])
-    return last, f"{words[0]} .. {last}", f"{words[0]} .."
+    return _end_keys(["^", *words]) if words else None
 
 
 def copied(instruction: str, output: str) -> bool:
     """Nothing but the instruction: once or more, with at most three words of label before it."""
+    if _WORD.findall(output[-80:].lower())[-1:] != _WORD.findall(instruction[-80:].lower())[-1:]:
+        return False
     q, o = _WORD.findall(instruction.lower()), _WORD.findall(output.lower())
     for label in range(min(4, len(o))):
         rest = o[label:]
@@ -100,17 +105,19 @@ def copied(instruction: str, output: str) -> bool:
 
 def refused(output: str) -> bool:
     """A short text of which the first sentence, and at least half of all, declines or knows no answer."""
+    if re.search(r"\d{2}", output):
+        return False
     text = output.lower().replace("’", "'").strip(" \n\t\"'*_>")
     parts = [u for u in units(text) if _WORD.search(u)]
-    if not parts or len(_WORD.findall(text)) > REFUSAL_WORDS or re.search(r"\d{2}", text):
+    if not parts or len(_WORD.findall(text)) > REFUSAL_WORDS:
         return False
     hits = [bool(REFUSALS.search(p)) for p in parts]
     return hits[0] and 2 * sum(hits) >= len(parts)
 
 
 def blank(output: str | None) -> bool:
-    words = " ".join(_WORD.findall((output or "").lower()))
-    return words in PLACEHOLDERS
+    text = output or ""
+    return not _WORD.search(text) or len(text) < 200 and " ".join(_WORD.findall(text.lower())) in PLACEHOLDERS
 
 
 class Languages:
@@ -134,7 +141,11 @@ class Languages:
         return [w[i : i + 3] for i in range(len(w) - 2)]
 
     def words(self, text: str) -> list[str]:
-        return [w for w in _TOKEN.findall(_COMMAND.sub(" ", _CODE.sub(" ", text)).lower()) if w in self.common and not w[0].isdigit()]
+        if "`" in text:
+            text = _CODE.sub(" ", text)
+        if any(x in text for x in (" -", "$", "://", " /")):
+            text = _COMMAND.sub(" ", text)
+        return [w for w in _TOKEN.findall(text.lower()) if w in self.common]
 
     def of(self, text: str, lead: float, least: int = 1) -> str | None:
         """The language that leads clearly, or None."""
@@ -205,7 +216,9 @@ def defects(pairs: DataFrame) -> DataFrame:
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = Counter(w for i, o in zip(b["instruction"], b["output"]) for w in set(_TOKEN.findall(f"{i}\n{o}".lower())) if not w[0].isdigit())
+            n: Counter = Counter()
+            for i, o in zip(b["instruction"], b["output"]):
+                n.update(set(_LETTERS.findall(f"{i}\n{o}".lower())))
             yield pd.DataFrame(list(n.items()), columns=["word", "n"])
 
     total = rows.count()
@@ -221,14 +234,14 @@ def defects(pairs: DataFrame) -> DataFrame:
                 us = units(o)
                 for i, u in enumerate(us):
                     words = ["^", *masked(u, languages.value.common)]
-                    anywhere.update(_key(f"{x} {y}") for x, y in zip(words, words[1:]))
-                    keys = end_keys(u, languages.value.common)
-                    if keys and (i + 1 < len(us) or _ENDED.search(u)):
-                        ends.update(map(_key, keys))
+                    anywhere.update(zip(words, words[1:]))
+                    if len(words) > 1 and (i + 1 < len(us) or _ENDED.search(u)):
+                        ends.update(_end_keys(words))
                 whole = whole_key(us, languages.value.common)
                 if whole:
-                    ends[_key(whole)] += 1
-            yield pd.DataFrame([(k, ends[k], anywhere[k]) for k in ends.keys() | anywhere.keys()], columns=["key", "ends", "anywhere"])
+                    ends[whole] += 1
+            met = {" ".join(k): n for k, n in anywhere.items()}
+            yield pd.DataFrame([(_key(k), ends[k], met.get(k, 0)) for k in ends.keys() | met.keys()], columns=["key", "ends", "anywhere"])
 
     outputs = rows.select("output").distinct()
     known = outputs.mapInPandas(count_ends, "key long, ends long, anywhere long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("anywhere").alias("anywhere"))
