@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which else stay
+    until the driver happens to collect its garbage. For loops of many jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(spark: SparkSession, path: str):
     """The Hadoop file system and path object of ``path``."""
     jvm = spark.sparkContext._jvm
