@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["incremental", "splits"]
+FAMILIES = ["incremental", "splits", "texts", "quality"]
 
 
 def modules() -> list:
