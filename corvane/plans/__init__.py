@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["incremental", "splits", "texts", "quality"]
+FAMILIES = ["incremental", "splits", "texts", "quality", "dedupe", "state"]
 
 
 def modules() -> list:
