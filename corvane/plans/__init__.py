@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["incremental", "splits", "texts", "quality", "dedupe", "state"]
+FAMILIES = ["incremental", "splits", "texts", "quality", "dedupe", "state", "analysis", "exports"]
 
 
 def modules() -> list:
