@@ -141,8 +141,9 @@ def search(shard: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
         near = apart <= (sizes[which] + lengths[text]) * (1 - NEAR) / (1 + NEAR) + 1e-9
         pairs, times = np.unique(codes[which[near]].astype("int64") * max(1, len(lengths)) + text[near], return_counts=True)
         q, k = np.divmod(pairs, max(1, len(lengths)))
-        out.append(pd.DataFrame({"q": names[q], "key": [t[16 * i : 16 * i + 16].hex() for i in k.tolist()], "size": size_of[q], "hits": times}))
-    return pd.concat(out) if out else pd.DataFrame({"q": [], "key": [], "size": [], "hits": []})
+        keys = [t[16 * i : 16 * i + 16].hex() for i in k.tolist()]
+        out += zip(names[q].tolist(), keys, size_of[q].tolist(), times.tolist())
+    return pd.DataFrame(out, columns=["q", "key", "size", "hits"])
 
 
 class History:
