@@ -177,6 +177,8 @@ def _open_end(output: str) -> int:
         return 1
     if re.search(r"(?:^|\s)\S*\d\.$", text):
         return 0
+    if len(_TOKEN.findall(text[:80])) <= 3 and re.search(r"\d", text) and "\n" not in text:
+        return -1  # a bare value
     return -1 if _ENDED.search(text) else 0
 
 
