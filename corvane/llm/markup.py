@@ -183,7 +183,7 @@ class Page:
                 out.append(" | " if closing else "")
             elif name == "p" or name == "table":
                 out.append("\n\n")
-            elif name in BREAKS:
+            elif name in BREAKS and name != "li":
                 out.append("\n")
             if not out_of:
                 out.append(text.lstrip() if name == "li" and not closing else text)

@@ -205,7 +205,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
                         out.append(pd.DataFrame({"shard": shard, "slot": place[at : at + len(i)], "source": s["source"], "block": permuted(i, s["blocks"], seed, s["source"], use), "use": int(use)}))
                         at += len(i)
                 if out:
-                    yield pd.concat(out)
+                    yield pd.concat(out).astype({"source": object})
 
     drawn = spark.range(shards, numPartitions=max(1, min(shards, 200))).mapInPandas(draw, "shard long, slot int, source string, block long, use int")
     drawn = session.stored(drawn, "slots")  # the planner must know its size
