@@ -242,9 +242,10 @@ class History:
         return near.select("q", "key").union(equal).distinct()
 
     def _merge(self) -> None:
-        """Merges the newest segments while they are of like size; the old ones go once the new one
+        """Merges the newest segment while the one before is no larger, so that their sizes fall and a
+        text is merged about log2(texts) times at most; the old ones go once the new one
         is listed."""
-        while len(self.segments) > 1 and self.segments[-2][1] <= 2 * self.segments[-1][1]:
+        while len(self.segments) > 1 and self.segments[-2][1] <= self.segments[-1][1]:
             kept, old = self.segments[:-2], self.segments[-2:]
             both = self.spark.read.schema(TEXTS).parquet(*[f"{p}/texts" for p, _, _ in old]).distinct()
             self._segment(self._path(), both)
@@ -306,6 +307,8 @@ def repeats(chunks: DataFrame, root: str) -> DataFrame:
         batch = spark.read.schema(schema).parquet(place) if fs.exists(p) else spark.createDataFrame([], schema)
         found = history.check(str(b), batch).withColumn("batch_no", F.lit(b))
         out = found if out is None else out.union(found)
+        if fs.exists(p):
+            fs.delete(p, True)
     if out is None:
         return spark.createDataFrame([], "id string, batch_no int, earlier string, earlier_batch string")
     return out.select("id", "batch_no", "earlier", "earlier_batch").distinct()
