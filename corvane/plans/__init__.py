@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["incremental", "splits", "texts", "quality", "dedupe", "state", "analysis", "exports", "pages"]
+FAMILIES = ["incremental", "splits", "texts", "quality", "dedupe", "state", "analysis", "exports", "pages", "more"]
 
 
 def modules() -> list:
