@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from corvane import session
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+#: groups of more than one in so many ids are placed one by one
+LARGE = 200
 
 
 def page(url: Column) -> Column:
@@ -77,12 +79,10 @@ def divided(records: DataFrame) -> DataFrame:
     return groups.join(several.select("group_id"), "group_id", "left_semi").select("id", "group_id")
 
 
-def _quota(sizes: list[tuple[int, int]], shares: dict[str, float]) -> list[tuple[int, str, int, int]]:
-    """(size, side, lo, hi): of the groups of one size, those ranked lo <= r < hi go to side.
-    Large sizes first, each in proportion to what the sides still lack; the last few of a size go
+def _quota(sizes: list[tuple[int, int]], lack: dict[str, float]) -> list[tuple[int, str, int, int]]:
+    """(size, side, lo, hi): of the groups of one size, those ranked lo <= r < hi go to side, for
+    sides that lack so many rows. Large sizes first, each in proportion to what the sides still lack; the last few of a size go
     one by one to the side that lacks most."""
-    whole = sum(s * c for s, c in sizes)
-    lack = {side: share * whole / sum(shares.values()) for side, share in shares.items()}
     plan = []
     for size, count in sorted(sizes, reverse=True):
         want = {side: max(v, 0.0) for side, v in lack.items()}
@@ -103,15 +103,65 @@ def _quota(sizes: list[tuple[int, int]], shares: dict[str, float]) -> list[tuple
     return plan
 
 
-def assign(groups: DataFrame, shares: dict[str, float] = SHARES, seed: int = 0) -> DataFrame:
+def assign(groups: DataFrame, shares: dict[str, float] = SHARES, seed: int = 0, labels: DataFrame | None = None) -> DataFrame:
     """(id, split) of ``groups`` (id, group_id): whole groups only, sides in the given shares of
     the ids as closely as the group sizes allow. The same groups and seed give the same split.
 
-    The driver holds one row per distinct group size, at most sqrt(2 * ids) rows.
+    With ``labels`` (id, label) the sides also get the labels in like proportions. The groups of more
+    than one in LARGE of all ids go first, each to the side that lacks most, and what they hold of
+    every label counts there. The others are strata by their most frequent label, the smallest of
+    equally frequent ones; each stratum fills what the sides still lack of its label. Null labels and
+    ids without a label are a label of their own.
+
+    The driver holds LARGE groups at most with their labels, and one row per label and distinct group
+    size, at most sqrt(2 * ids) rows a label.
     """
-    sized = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
-    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("group_id", F.lit(seed)), "group_id")) - 1)
-    plan = _quota([(r["size"], r["count"]) for r in sized.groupBy("size").count().collect()], shares)
-    ranges = groups.sparkSession.createDataFrame(plan, "size long, split string, lo long, hi long")
-    sides = ranked.join(F.broadcast(ranges), "size").where("rank >= lo and rank < hi").select("group_id", "split")
+    named = groups.select("id", "group_id", F.lit("").alias("label"))
+    if labels is not None:
+        named = groups.join(labels.select("id", F.coalesce("label", F.lit("")).alias("label")).dropDuplicates(["id"]), "id", "left").withColumn("label", F.coalesce("label", F.lit("")))
+    counts = session.cut_lineage(named.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n")))
+    best = F.min_by("label", F.struct(-F.col("n"), F.col("label")))
+    sized = session.cut_lineage(counts.groupBy("group_id").agg(F.sum("n").alias("size"), best.alias("label")))
+    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    whole, parts = sum(totals.values()), sum(shares.values())
+    lack = {name: {side: n * share / parts for side, share in shares.items()} for name, n in totals.items()}
+    large = sized.where(F.col("size") > whole / LARGE)
+    held: dict[str, dict[str, int]] = {}
+    for r in counts.join(large.select("group_id"), "group_id", "left_semi").collect():
+        held.setdefault(r["group_id"], {})[r["label"]] = r["n"]
+    placed = []
+    for key, has in sorted(held.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        side = max(shares, key=lambda k: sum(v[k] for v in lack.values()))
+        placed.append((key, side))
+        for name, n in has.items():
+            lack[name][side] -= n
+    small = sized.where(F.col("size") <= whole / LARGE)
+    ranked = small.withColumn("rank", F.row_number().over(Window.partitionBy("label", "size").orderBy(F.xxhash64("group_id", F.lit(seed)), "group_id")) - 1)
+    strata: dict[str, list[tuple[int, int]]] = {}
+    for r in small.groupBy("label", "size").count().collect():
+        strata.setdefault(r["label"], []).append((r["size"], r["count"]))
+    plan = []
+    for name, sizes in sorted(strata.items()):
+        # a stratum holds rows of other labels too, so what its sides lack is brought to its size
+        want = {side: max(v, 0.0) for side, v in lack[name].items()}
+        scale = sum(n * c for n, c in sizes) / (sum(want.values()) or 1.0)
+        plan += [(name, *row) for row in _quota(sizes, {side: v * scale for side, v in want.items()})]
+    spark = groups.sparkSession
+    ranges = spark.createDataFrame(plan, "label string, size long, split string, lo long, hi long")
+    sides = ranked.join(F.broadcast(ranges), ["label", "size"]).where("rank >= lo and rank < hi").select("group_id", "split")
+    sides = sides.union(spark.createDataFrame(placed, "group_id string, split string"))
     return groups.join(sides, "group_id").select("id", "split")
+
+
+def report(split: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
+    """(split, target, share, records, deviation) of ``split`` (id, split): deviation is the largest
+    difference between a label's share in the side and in all records."""
+    named = split.join(labels.select("id", F.coalesce("label", F.lit("")).alias("label")).dropDuplicates(["id"]), "id", "left")
+    counts = named.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    side, all_ = Window.partitionBy("split"), Window.partitionBy()
+    by_label = Window.partitionBy("label")
+    rows = counts.select("split", "n", F.sum("n").over(side).alias("records"), F.sum("n").over(all_).alias("total"), F.sum("n").over(by_label).alias("of_label"))
+    rows = rows.withColumn("off", F.abs(F.col("n") / F.col("records") - F.col("of_label") / F.col("total")))
+    target = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("split")]
+    out = rows.groupBy("split").agg(F.max("records").alias("records"), F.max("total").alias("total"), F.round(F.max("off"), 4).alias("deviation"))
+    return out.select("split", target.alias("target"), F.round(F.col("records") / F.col("total"), 4).alias("share"), "records", "deviation")

@@ -12,12 +12,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.divided(table(spark, sf_dir, "records"))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "records").selectExpr("cast(id as string) as id", "kind as label")
+
+
 def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record with its side of the split."""
-    return groups.assign(groups.linked(table(spark, sf_dir, "records"))[1])
+    """Every record with its side of the split, kinds in like proportions on all sides."""
+    return groups.assign(groups.linked(table(spark, sf_dir, "records"))[1], labels=_labels(spark, sf_dir))
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each side, and how far its kinds deviate from all records."""
+    return groups.report(p2_split(spark, sf_dir), _labels(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_split": p2_split}
+QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p2_shares": p2_shares}
 SQL = {
     "p2_found": r"""with recursive
 cut as (select distinct id, chunk_id, source_url, regexp_replace(source_url, '#.*$', '') as u from records where id is not null),

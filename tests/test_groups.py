@@ -46,3 +46,16 @@ def test_p2_split_divides_no_group(spark, sf):
     assert grouped.join(split, "id").groupBy("group_id").agg({"split": "count"}).count() > 1
     assert grouped.join(split, "id").select("group_id", "split").distinct().groupBy("group_id").count().where("count > 1").isEmpty()
     assert split.count() == grouped.count()
+
+
+def test_assign_spreads_labels_evenly(spark):
+    rows = [(f"{g}-{i}", f"g{g}", "abc"[g % 3] if i else None) for g in range(600) for i in range(1 + g % 5)]
+    grouped = spark.createDataFrame([r[:2] for r in rows], "id string, group_id string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "id string, label string")
+    split = groups.assign(grouped, labels=labels)
+    sides = dict(map(tuple, split.collect()))
+    assert len(sides) == len(rows) and all(len({sides[i] for i, g, _ in rows if g == f"g{k}"}) == 1 for k in range(0, 600, 7))
+    for r in groups.report(split, labels).collect():
+        assert abs(r["share"] - r["target"]) < 0.01 and r["deviation"] < 0.06
+    none = spark.createDataFrame([], "id string, group_id string")
+    assert groups.assign(none).count() == 0 and groups.assign(none, labels=labels).count() == 0
