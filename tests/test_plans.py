@@ -10,7 +10,7 @@ from corvane import plans
 
 QUERIES = {k: v for m in plans.modules() for k, v in m.QUERIES.items()}
 SQL = {k: v for m in plans.modules() for k, v in m.SQL.items()}
-TABLES = ["documents", "doc_states", "runs", "chunks", "records", "quarantine", "exports", "eval"]
+TABLES = ["documents", "doc_states", "runs", "chunks", "records", "quarantine", "exports", "eval", "embeddings"]
 
 
 @pytest.fixture(scope="module")
