@@ -2,7 +2,7 @@
 
 A page is a tree: zones (head, byline, body, tail), in them blocks (runs of lines between blank
 lines), in them lines. A line's label has its varying words and numbers replaced by slots; a word
-varies if few sampled pages hold it. Pages of one host are aligned pairwise by simple tree
+varies if few pages hold it. Pages of one host are aligned pairwise by simple tree
 matching. Lines that match are constant nodes; where they matched is counted per label. Labels
 whose constant nodes lie outside of the body often enough are the host's template, what
 remains between them is content. A host's votes are weighed with those of all hosts, which decide where it has few.
@@ -16,16 +16,18 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane import session
 
-#: pages of one host that are aligned, on average; the wrapper is fitted on these, applied to all
-SAMPLE = 600
-#: each sampled page is aligned with so many others of its host and language
+#: each page is aligned with so many that follow it in its host, where one language stands together
 PARTNERS = 3
-#: a word that fewer than this share of the sampled pages hold is a slot
+#: pages of one host that one call aligns; all are aligned, and the votes don't depend on it
+BATCH = 600
+#: about so many pages of a host are put in order by one task, at most
+SLOT = 20_000
+#: a word that fewer than this share of the pages hold is a slot
 COMMON = 0.005
 #: the votes of all hosts on a label count as so many votes of the host itself
 PRIOR = 20
@@ -35,6 +37,8 @@ HEAD_SHARE, TAIL_SHARE = 0.25, 0.45
 PROSE = 110
 ZONES = ("head", "byline", "body", "tail")
 VOTES = "host string, label long, head long, byline long, body long, tail long"
+#: a page's non-blank lines; block: 4 * (number of the block in its zone) + zone, -1 outside of the tree
+LINES = "host string, lang string, titled boolean, line_no array<int>, label array<long>, block array<int>"
 
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _SLOTS = re.compile(r"X(?:[\s\-]*X|[\s\-]+0)*(?![^\W\d_])")
@@ -131,18 +135,19 @@ def _block(x: list, y: list) -> tuple[int, list]:
     return size + 1, found
 
 
-def votes(pages: list[list]) -> Counter:
-    """(label, zone) -> lines of ``pages`` (trees in order) matched with one of the next pages."""
+def votes(pages: list[list], own: list[bool]) -> Counter:
+    """(label, zone) -> lines of ``pages`` (trees in order) matched with one of the PARTNERS pages
+    before or after; lines of pages that are not ``own`` don't count."""
     seen = Counter(k for p in pages for z in p for b in z for k in {k for k, _ in b})
     slim = [[[[x for x in b if seen[x[0]] > 1] for b in z] for z in p] for p in pages]
     slim = [[[b for b in z if b] for z in p] for p in slim]
     met: set[tuple[int, int, int, int]] = set()
     for i, p in enumerate(slim):
         for j in range(i + 1, min(i + 1 + PARTNERS, len(slim))):
-            for z in range(4):
+            for z in range(4 if own[i] or own[j] else 0):
                 for x, y in match(p[z], slim[j][z], _block)[1]:
                     met |= {(i, z, *x), (j, z, *y)}
-    return Counter((k, z) for _, z, k, _ in met)
+    return Counter((k, z) for i, z, k, _ in met if own[i])
 
 
 def _hash(text: str) -> int:
@@ -152,32 +157,84 @@ def _hash(text: str) -> int:
 def _common_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         n = Counter(w for t in b["text"] for w in set(_WORD.findall(t)) if not w[0].isdigit())
+        n[""] = len(b)
         yield pd.DataFrame(list(n.items()), columns=["word", "n"])
 
 
-def induce(pages: DataFrame) -> tuple[DataFrame, frozenset[str]]:
-    """Votes per host and label, and the words that are no slots, of (doc_id, host, title, text,
-    lang). Fitted on about SAMPLE pages of each host, drawn by a hash of doc_id."""
-    spark = pages.sparkSession
+def common_words(pages: DataFrame) -> frozenset[str]:
+    """The words that are no slots, of all ``pages`` (doc_id, text); repeated rows count once."""
+    counted = pages.select("doc_id", "text").distinct().select("text").mapInPandas(_common_words, "word string, n long")
+    counted = session.cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    # the empty word has the number of pages
+    least = max(2.0, COMMON * sum(r["n"] for r in counted.where("word = ''").collect()))
+    # a word needs a share of all pages, so there are at most (words a page) / COMMON of them
+    return frozenset(r["word"] for r in counted.where((F.col("n") >= least) & (F.col("word") != "")).select("word").collect())
+
+
+def labelled(pages: DataFrame, common: frozenset[str]) -> DataFrame:
+    """A row of doc_id and LINES for each of ``pages`` (doc_id, host, title, text, lang)."""
+    shared = pages.sparkSession.sparkContext.broadcast(common)
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for doc, site, lang, title, text in zip(b["doc_id"], b["host"], b["lang"], b["title"], b["text"]):
+                rows = lines(text)
+                at = title_line(rows, title)
+                labels = [_hash(label(x, shared.value)) if i != at and _LETTER.search(x) else 0 for i, x in enumerate(rows)]
+                zones = tree(rows, at, labels) if at >= 0 else []
+                block = {i: 4 * n + z for z, blocks in enumerate(zones) for n, x in enumerate(blocks) for _, i in x}
+                held = [i for i, x in enumerate(rows) if x.strip()]
+                got.append((doc, site, lang, at >= 0, [i + 1 for i in held], [labels[i] for i in held], [block.get(i, -1) for i in held]))
+            yield pd.DataFrame(got, columns=["doc_id", "host", "lang", "titled", "line_no", "label", "block"])
+
+    doc_type = pages.schema["doc_id"].dataType.simpleString()
+    return pages.select("doc_id", "host", "lang", "title", "text").mapInPandas(emit, f"doc_id {doc_type}, {LINES}")
+
+
+def _tree(labels: list[int], blocks: list[int]) -> list[list[list[tuple[int, int]]]]:
+    """What ``tree`` gave, out of a row of LINES."""
+    zones: list[list[list[tuple[int, int]]]] = [[], [], [], []]
+    for i, (k, b) in enumerate(zip(labels, blocks)):
+        if b >= 0:
+            zone = zones[b % 4]
+            if b // 4 == len(zone):
+                zone.append([])
+            zone[-1].append((k, i))
+    return zones
+
+
+def _ranked(pages: DataFrame) -> DataFrame:
+    """``pages`` (host, lang, doc_id, label, block), each once, with their rank in their host: by lang,
+    slot and doc_id. Hosts of up to SLOT pages have one slot, others more, by a hash of doc_id."""
+    pages = pages.withColumn("lang", F.coalesce("lang", F.lit("\U0010ffff"))).distinct()
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    sample = pages.join(sizes, "host").where(F.pmod(F.xxhash64("doc_id"), F.col("pages")) < SAMPLE).drop("pages")
-    counted = sample.select("text").mapInPandas(_common_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    least = max(2.0, COMMON * sample.count())
-    # a word needs a share of all sampled pages, so there are at most (words a page) / COMMON of them
-    common = frozenset(r["word"] for r in counted.where(F.col("n") >= least).select("word").collect())
-    shared = spark.sparkContext.broadcast(common)
+    pages = pages.join(sizes, "host").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("pages") / SLOT))).drop("pages")
+    earlier = Window.partitionBy("host").orderBy("lang", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = pages.groupBy("host", "lang", "slot").agg(F.count(F.lit(1)).alias("n"))
+    slots = slots.select("host", "lang", "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("host", "lang", "slot").orderBy("doc_id", "label", "block"))
+    return pages.withColumn("nth", within).join(slots, ["host", "lang", "slot"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
+
+
+def induce(pages: DataFrame) -> DataFrame:
+    """Votes per host and label of all rows of ``pages`` (doc_id, LINES) that have a title line.
+
+    Every page is aligned with the PARTNERS before and after it in its host. The ranks are cut in
+    batches; a batch also gets the PARTNERS pages on either side, whose votes other batches count."""
+    ranked = _ranked(pages.where("titled").select("host", "lang", "doc_id", "label", "block"))
+    of = lambda rank: F.floor(rank / BATCH)
+    first, last = of(F.greatest(F.col("rank") - PARTNERS, F.lit(0))), of(F.col("rank") + PARTNERS)
+    dealt = ranked.withColumn("batch", F.explode(F.sequence(first, last))).withColumn("own", F.col("batch") == of(F.col("rank")))
 
     def align(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        trees = []
-        for _, r in group.sort_values(["lang", "doc_id"], na_position="last").iterrows():
-            rows = lines(r["text"])
-            at = title_line(rows, r["title"])
-            if at >= 0:
-                trees.append(tree(rows, at, [_hash(label(x, shared.value)) if _LETTER.search(x) else 0 for x in rows]))
-        n = votes(trees)
+        group = group.sort_values("rank")
+        trees = [_tree(k.tolist(), b.tolist()) for k, b in zip(group["label"], group["block"])]
+        n = votes(trees, group["own"].tolist())
         return pd.DataFrame([(key[0], k, *(n[k, z] for z in range(4))) for k in {k for k, _ in n} if k], columns=["host", "label", *ZONES])
 
-    return sample.groupBy("host").applyInPandas(align, VOTES), common
+    found = dealt.select("host", "batch", "rank", "own", "label", "block").groupBy("host", "batch").applyInPandas(align, VOTES)
+    return found.groupBy("host", "label").agg(*[F.sum(z).alias(z) for z in ZONES])
 
 
 def _shares(found: DataFrame) -> DataFrame:
@@ -204,29 +261,17 @@ def page_lines(documents: DataFrame) -> DataFrame:
     missing title only keeps the page from the fit. Repeated rows count once. Other columns are
     ignored. Lines are numbered from 1 between "\\n"; very long texts are processed whole.
 
-    Scale: the fit reads about SAMPLE pages of each host, so no host's size matters; the
-    application is one pass over all pages that gives a hash for each line, joined with the
-    templates; the join is on label or on host and label, its skew left to AQE.
+    Scale: one pass over all pages counts words, one gives a hash for each line; the fit aligns all
+    pages on these hashes, in batches of BATCH, so no host's size matters; the application joins
+    them with the templates, on label or on host and label, its skew left to AQE.
     """
     pages = documents.select(F.col("doc_id"), host(F.col("url")).alias("host"), "title", "text", "lang")
     pages = pages.where("doc_id is not null and host is not null and text is not null and text <> ''")
-    found, common = induce(pages)
-    decided = session.cut_lineage(_shares(session.cut_lineage(found)))
+    pages = session.stored(labelled(pages, common_words(pages)), "lines")
+    decided = session.cut_lineage(_shares(session.cut_lineage(induce(pages))))
     by_host = decided.where("host is not null").withColumnRenamed("template", "of_host")
     pooled = decided.where("host is null").select("label", F.col("template").alias("of_all"))
-    shared = pages.sparkSession.sparkContext.broadcast(common)
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = []
-            for doc, site, title, text in zip(b["doc_id"], b["host"], b["title"], b["text"]):
-                rows = lines(text)
-                at = title_line(rows, title)
-                got += [(doc, i + 1, site, _hash(label(x, shared.value)) if i != at and _LETTER.search(x) else 0) for i, x in enumerate(rows) if x.strip()]
-            yield pd.DataFrame(got, columns=["doc_id", "line_no", "host", "label"])
-
-    doc_type = documents.schema["doc_id"].dataType.simpleString()
-    rows = pages.select("doc_id", "host", "title", "text").mapInPandas(emit, f"doc_id {doc_type}, line_no int, host string, label long")
+    rows = pages.select("doc_id", "host", F.explode(F.arrays_zip("line_no", "label")).alias("x")).select("doc_id", "host", "x.line_no", "x.label")
     marked = rows.join(pooled, "label", "left").join(by_host, ["host", "label"], "left")
     return marked.select("doc_id", "line_no", F.coalesce("of_host", "of_all", F.lit(False)).alias("template")).distinct()
 

@@ -142,6 +142,52 @@ def test_wrapper_takes_out_what_pages_of_a_host_share(spark):
     assert wrappers.boilerplate(docs.limit(0)).count() == 0
 
 
+def test_wrapper_is_fitted_on_every_page_of_a_large_host(spark):
+    # the notice stands on pages only that a draw of 600 a host by a hash of doc_id would leave out
+    out = {r["id"] for r in spark.range(700).where("pmod(xxhash64(id), 700) >= 600").collect()}
+    rng, rows = random.Random(6), []
+    name = lambda: "".join(rng.choice(["ba", "co", "di", "fu", "ge", "lo"]) for _ in range(9))
+    for i in range(700):
+        lines = ["", " ".join(name() for _ in range(25)) + ".", "", "Back to top", *["Kept for readers of older releases"] * (i in out)]
+        rows.append((i, f"https://host.example/{i}", f"Title {name()}", "en", lines))
+    docs = spark.createDataFrame([(i, u, t, "\n".join([t, *x]), g) for i, u, t, g, x in rows], "doc_id long, url string, title string, text string, lang string")
+    want = {(i, 5) for i in range(700)} | {(i, 6) for i in out}
+    assert {tuple(r) for r in wrappers.boilerplate(docs).collect()} == want and len(out) > 50
+
+
+@pytest.mark.parametrize("slot", [20_000, 13])
+def test_wrapper_votes_equal_those_of_whole_hosts(spark, monkeypatch, slot):
+    rng, rows = random.Random(8), []
+    for i in range(90):
+        blocks = [[4 * n + z for n in range(2) for _ in range(rng.randrange(3))] for z in range(4)]
+        at = [b for z in blocks for b in sorted({b: None for b in z}) for _ in range(z.count(b))]
+        at = [b for b in at if b < 4 or b - 4 in at]
+        rows.append((i, rng.choice("ab"), rng.choice(["en", "fr", None]), i % 9 != 0, list(range(1, len(at) + 1)), [rng.randrange(6) for _ in at], at))
+    pages = spark.createDataFrame([*rows, rows[5]], f"doc_id long, {wrappers.LINES}")
+    monkeypatch.setattr(wrappers, "SLOT", slot)
+    want = {}
+    ranked = wrappers._ranked(pages.where("titled").select("host", "lang", "doc_id", "label", "block")).collect()
+    assert sorted(r["rank"] for r in ranked if r["host"] == "a") == list(range(len({r[0] for r in rows if r[1] == "a" and r[3]})))
+    if slot > 90:
+        assert [r["doc_id"] for r in sorted(ranked, key=lambda r: (r["host"], r["rank"]))] == [r[0] for r in sorted((r for r in rows if r[3]), key=lambda r: (r[1], r[2] or "~", r[0]))]
+    for h in "ab":
+        trees = [wrappers._tree(r["label"], r["block"]) for r in sorted(ranked, key=lambda r: r["rank"]) if r["host"] == h]
+        want |= {(h, *k): n for k, n in wrappers.votes(trees, [True] * len(trees)).items() if k[0]}
+    for batch in (1, 2, 7, 600):
+        monkeypatch.setattr(wrappers, "BATCH", batch)
+        got = {(r["host"], r["label"], z): r[x] for r in wrappers.induce(pages).collect() for z, x in enumerate(wrappers.ZONES) if r[x]}
+        assert got == want and want
+
+
+def test_tree_survives_its_row():
+    rows = ["Home", "", "Menu one", "Menu two", "", "T", "By x", "", "p" * 200, "a", "", "b", "", "Back", "", "Foot", "Foot two"]
+    labels = [len(x) for x in rows]
+    zones = wrappers.tree(rows, 5, labels)
+    block = {i: 4 * n + z for z, blocks in enumerate(zones) for n, x in enumerate(blocks) for _, i in x}
+    again = wrappers._tree(labels, [block.get(i, -1) for i in range(len(rows))])
+    assert again == zones and all(zones)
+
+
 # 4 ---------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "text, kinds, clean",
